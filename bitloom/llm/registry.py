@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_spread, mixing
+from . import langid, line_spread, mixing, simhash_cover
 
 QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op5_simhash_cover": simhash_cover.op5_simhash_cover,
+    "op6_language_id": langid.op6_language_id,
     "op10_line_spread": line_spread.op10_line_spread,
 }
 ORACLES = {
