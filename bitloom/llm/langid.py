@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import remainder, table
 
@@ -177,21 +178,33 @@ def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str, centroids:
 
 
 def identify(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and rejected last.
+    """``docs`` with lang_pred, score and rejected last, in place of any columns of these names.
 
     A null text, or one without a letter, is ``und`` with score 0 and rejected, and so is every text where
     nothing was learned. Other texts get the nearest centroid's language, the first by name among equals,
     its cosine as the score, and whether that is below the centroid's floor.
     """
-    schema = docs.schema
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema]
+    names = ["lang_pred", "score", "rejected"]
+    clash = [n for n in names if n in docs.columns]
+    docs = docs.drop(*clash)
+    schema = T.StructType([*docs.schema, *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _texts(batches, text_col):
             lang, score, rejected = model.predict(texts)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*part.schema.names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*part.schema.names, *names])
 
-    return docs.mapInArrow(predict, ", ".join([*fields, "lang_pred string", "score double", "rejected boolean"]))
+    return docs.mapInArrow(predict, schema)
+
+
+def keep_identified(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataFrame:
+    """``docs`` less the rows that ``identify`` rejects; the columns, whatever their names, stay as they are."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in _texts(batches, text_col):
+            yield part.filter(pa.array([not x for x in model.predict(texts)[2]], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

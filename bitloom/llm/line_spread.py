@@ -35,24 +35,24 @@ def spread_lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min
     return held.join(wide, ["h", "g"]).where("id is null or id <> first_id").select("id", F.struct("h", "g").alias("k")).groupBy("id").agg(F.collect_set("k").alias("bad"))
 
 
-def remove_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", **how) -> DataFrame:
-    """``docs`` with ``text_col`` less its boilerplate lines, and n_lines and n_removed last.
+def remove_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", keep_counts: bool = True, **how) -> DataFrame:
+    """``docs`` with ``text_col`` less its boilerplate lines, and n_lines and n_removed last, unless not ``keep_counts``.
 
     A line is compared without the blanks around it; blank lines are kept, and never counted. A null site is
     no site. Null texts stay null with counts of 0, empty texts stay empty. A line that a document repeats is
     removed or kept at all its places. Rows that share an id are taken for one document; those of a null id
     are no one's first. A document all of whose lines go keeps its row, with what blank lines it had.
     """
-    bad = spread_lines(docs, id_col, text_col, site_col, **how).withColumnRenamed("id", "__id")
+    bad = spread_lines(docs, id_col, text_col, site_col, **how).select(F.col("id").alias("__id"), F.col("bad").alias("__bad"))
     out = docs.join(bad, F.expr(f"`{id_col}` <=> __id"), "left")
-    gone = lambda x: (F.trim(x) != "") & F.array_contains(F.col("bad"), F.struct(F.xxhash64(F.trim(x)).alias("h"), F.hash(F.trim(x)).alias("g")))
+    gone = lambda x: (F.trim(x) != "") & F.array_contains(F.col("__bad"), F.struct(F.xxhash64(F.trim(x)).alias("h"), F.hash(F.trim(x)).alias("g")))
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.when(F.col("bad").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x: ~gone(x)), "\n"))
+    kept = F.when(F.col("__bad").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x: ~gone(x)), "\n"))
     count = lambda text: F.coalesce(F.size(F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != "")), F.lit(0))
     out = out.withColumns({"__kept": kept, "__n": F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(count(F.col(text_col)))})
-    out = out.withColumn("__m", F.when(F.col("bad").isNull(), F.lit(0)).otherwise(F.col("__n") - count(F.col("__kept"))))
+    out = out.withColumn("__m", F.when(F.col("__bad").isNull(), F.lit(0)).otherwise(F.col("__n") - count(F.col("__kept"))))
     cols = [F.col("__kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*cols, F.col("__n").alias("n_lines"), F.col("__m").alias("n_removed"))
+    return out.select(*cols, *([F.col("__n").alias("n_lines"), F.col("__m").alias("n_removed")] if keep_counts else []))
 
 
 def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:

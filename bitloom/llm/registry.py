@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, line_spread, mixing, simhash_cover
+from . import langid, line_spread, mixing, simhash_cover, tiling
 
 QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
     "op5_simhash_cover": simhash_cover.op5_simhash_cover,
     "op6_language_id": langid.op6_language_id,
+    "op9_string_tiling": tiling.op9_string_tiling,
     "op10_line_spread": line_spread.op10_line_spread,
 }
 ORACLES = {
