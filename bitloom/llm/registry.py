@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, line_spread, mixing, simhash_cover, tiling
+from . import langid, line_spread, mixing, quality_crf, simhash_cover, tiling
 
 QUERIES = {
+    "op1_quality_crf": quality_crf.op1_quality_crf,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op5_simhash_cover": simhash_cover.op5_simhash_cover,
     "op6_language_id": langid.op6_language_id,
