@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, line_spread, mixing, quality_crf, simhash_cover, tiling
+from . import langid, lattice_lm, line_spread, mixing, quality_crf, simhash_cover, tiling
 
 QUERIES = {
     "op1_quality_crf": quality_crf.op1_quality_crf,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_lattice_lm": lattice_lm.op4_lattice_lm,
     "op5_simhash_cover": simhash_cover.op5_simhash_cover,
     "op6_language_id": langid.op6_language_id,
     "op9_string_tiling": tiling.op9_string_tiling,
