@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, lattice_lm, line_spread, mixing, quality_crf, simhash_cover, tiling
+from . import imatch, langid, lattice_lm, line_spread, mixing, quality_crf, simhash_cover, tiling
 
 QUERIES = {
     "op1_quality_crf": quality_crf.op1_quality_crf,
+    "op2_imatch": imatch.op2_imatch,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_lattice_lm": lattice_lm.op4_lattice_lm,
     "op5_simhash_cover": simhash_cover.op5_simhash_cover,
