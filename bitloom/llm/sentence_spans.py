@@ -63,16 +63,22 @@ def cut(text: str, at: list[tuple[int, int]], gone: set[int]) -> str:
     return "".join(parts)
 
 
+def _mark(text: str | None) -> int:
+    """Tells rows apart that share an id."""
+    return crc32((text or "").encode("utf-8", "replace"))
+
+
 def _spans(docs: DataFrame, id_col: str, text_col: str, run: int, most_words: int) -> DataFrame:
-    """(h, g, id, k): the 96-bit hash of each span, and where it starts."""
+    """(h, g, id, p): the 96-bit hash of each span, and its place: where it starts, then a hash of the text."""
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                digests, n = [], []
+                digests, n, marks = [], [], []
                 for text in part.column(1).to_pylist():
+                    marks.append(_mark(text))
                     s = sentences(text, most_words)[0]
                     spans = ["\n".join(x) for x in zip(*(s[k:] for k in range(run)), strict=False)]
                     digests += [xxhash.xxh3_128_digest(x) for x in spans]
@@ -81,9 +87,9 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, run: int, most_words: in
                     h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                     row = np.repeat(np.arange(len(n)), n)
                     k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1].astype(np.int32)), part.column(0).take(pa.array(row)), pa.array(k.astype(np.int32))], ["h", "g", "id", "k"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1].astype(np.int32)), part.column(0).take(pa.array(row)), pa.array(k << 32 | np.array(marks)[row])], ["h", "g", "id", "p"])
 
-    return d.mapInArrow(hashed, f"h long, g int, id {d.schema['id'].dataType.simpleString()}, k int")
+    return d.mapInArrow(hashed, f"h long, g int, id {d.schema['id'].dataType.simpleString()}, p long")
 
 
 def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3, most_words: int = 12) -> DataFrame:
@@ -94,10 +100,10 @@ def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spans = _spans(docs, id_col, text_col, run, most_words)
     # Null ids come last.
-    place = F.struct(F.col("id").isNull().alias("z"), "id", "k")
+    place = F.struct(F.col("id").isNull().alias("z"), "id", "p")
     firsts = spans.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first")
-    other = spans.join(firsts, ["h", "g"]).where(~((F.col("id").eqNullSafe(F.col("first.id"))) & (F.col("k") == F.col("first.k"))))
-    return other.groupBy("id").agg(F.collect_set("k").alias("starts"))
+    other = spans.join(firsts, ["h", "g"]).where(~((F.col("id").eqNullSafe(F.col("first.id"))) & (F.col("p") == F.col("first.p"))))
+    return other.groupBy("id").agg(F.collect_set("p").alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3, most_words: int = 12) -> DataFrame:
@@ -105,7 +111,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Documents of fewer than ``run`` sentences have no spans and stay. Null texts stay null, empty ones empty, with
     counts of 0. A span that repeats within a document is removed there too, but for its first place. Rows
-    that share an id are taken for one document, and keep what their first place keeps.
+    that share an id are documents of their own, told apart by a hash of their texts; equal ones keep the same.
     """
     docs = docs.drop(*[c for c in ("n_sentences", "n_removed") if c in docs.columns])
     starts = repeated_sentences(docs, id_col, text_col, run, most_words).select(F.col("id").alias("__id"), F.col("starts").alias("__starts"))
@@ -120,7 +126,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 texts, n, m = [], [], []
                 for text, first in zip(part.column(place).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True):
                     s, at = sentences(text, most_words)
-                    gone = {k + j for k in first or () for j in range(run)}
+                    mark = _mark(text) if first else 0
+                    gone = {(p >> 32) + j for p in first or () if p & 0xFFFFFFFF == mark for j in range(run)}
                     texts.append(cut(text, at, gone) if gone else text)
                     n.append(len(s))
                     m.append(len(gone))
