@@ -115,3 +115,39 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame
     name = "taken" if "taken" not in docs.columns else "words_taken"
     taken = mix_sources(docs, id_col=id_col, **how).groupBy(F.col("doc_id").alias("__mix_id")).agg(F.max("taken").alias(name))
     return docs.join(taken.where(F.col(name) > 0), F.expr(f"`{id_col}` <=> __mix_id")).drop("__mix_id")
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), placed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('mix/' || doc_id || '/' || size), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d
+), s AS (
+  SELECT source, sum(size)::DOUBLE AS source_size, CAST([3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w FROM d GROUP BY source
+), ranked AS (
+  SELECT *, 2 * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total, row_number() OVER (ORDER BY 2 * source_size / w, source NULLS LAST) AS rk,
+    coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+    sum(w) OVER (ORDER BY 2 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS others FROM s
+), leveled AS (
+  SELECT (SELECT arg_min((total - capped) / others, rk) FROM ranked WHERE cap >= (total - capped) / others * w) AS lvl, r.* FROM ranked r
+), targets AS (
+  SELECT source, source_size, least(cap, coalesce(lvl, CAST('inf' AS DOUBLE)) * w) AS target FROM leveled
+), spans AS (
+  SELECT *, sum(target) OVER (ORDER BY source NULLS LAST) AS upto, sum(target) OVER () AS every, greatest(1, floor(sqrt(sum(source_size) OVER ()) / 8)) AS block FROM targets
+), plan AS (
+  SELECT source, (upto - target) / every AS lo, upto / every AS hi, CAST(block AS BIGINT) AS block, CAST(ceil(source_size / block) AS BIGINT) AS n_blocks, CAST(round(every / block) AS BIGINT) AS n_slots FROM spans WHERE target > 0
+), points AS (
+  SELECT i, least(((i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE - floor((i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE)) * top, top * (1 - 1e-15::DOUBLE)) AS u
+  FROM (SELECT unnest(range(0, (SELECT coalesce(max(n_slots), 0) FROM plan))) AS i) CROSS JOIN (SELECT max(hi) AS top FROM plan)
+), slots AS (
+  SELECT p.source, p.n_blocks, row_number() OVER (PARTITION BY p.source ORDER BY i) - 1 AS r FROM points JOIN plan p ON p.lo <= u AND u < p.hi
+), times AS (
+  SELECT source, r % n_blocks AS nth, count(*) AS times FROM slots WHERE r < 2 * n_blocks GROUP BY 1, 2
+), parts AS (
+  SELECT a.doc_id, a.source, a.size, a.start, p.block, unnest(range(a.start // p.block, (a.start + a.size - 1) // p.block + 1)) AS nth FROM placed a JOIN plan p ON p.source IS NOT DISTINCT FROM a.source WHERE a.size > 0
+), taken AS (
+  SELECT doc_id, sum((least(start + size, (nth + 1) * block) - greatest(start, nth * block)) * times) AS taken FROM parts JOIN times t USING (nth) WHERE t.source IS NOT DISTINCT FROM parts.source GROUP BY 1
+)
+SELECT d.doc_id, d.size, CAST(t.source_size AS BIGINT) AS source_size, t.target, CAST(coalesce(k.taken, 0) AS BIGINT) AS taken
+FROM d JOIN targets t ON t.source IS NOT DISTINCT FROM d.source LEFT JOIN taken k ON k.doc_id = d.doc_id
+"""

@@ -17,5 +17,6 @@ QUERIES = {
     "op10_line_spread": line_spread.op10_line_spread,
 }
 ORACLES = {
+    "op3_mix_sources": mixing.OP3_SQL,
     "op10_line_spread": line_spread.OP10_SQL,
 }
