@@ -46,7 +46,7 @@ def structure(luts: DataFrame, stream: DataFrame, gap_bytes: DataFrame, position
 
 
 def reserved(patterns: DataFrame) -> DataFrame:
-    """(n, reserved, least_o, e_there): how many patterns have a reserved exponent, and the first that does."""
+    """(reserved, least_o, most_e, least_e): how many patterns have a reserved exponent, the first place of one, and their range."""
     bad = patterns.where(F.col("e") >= RESERVED)
     return bad.agg(F.count("*").alias("reserved"), F.min("o").alias("least_o"), F.max("e").alias("most_e"), F.min("e").alias("least_e"))
 
