@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits
 from ..operators import catalog as cat
-from ..operators import codec, decode, limiter, sampling, verify
+from ..operators import codec, decode, limiter, sampling, support, verify
 from ..sources import catalogs
 from ..sources import weights as src
 
@@ -512,5 +512,41 @@ def size_literals(spark, sf):
     return p.select(l.alias("literal")).withColumn("bytes", F.try_multiply(number, scale))
 
 
+@query("""SELECT p_partkey, CAST(CASE WHEN p_size % 5 = 0 THEN greatest(p_size // 10, 1) ELSE greatest(1, least(floor((CASE WHEN p_size % 3 = 0 THEN p_partkey * 1000.0::DOUBLE ELSE floor(p_partkey * 2000 * 0.8::DOUBLE) END) / greatest(p_size * 100 * CASE WHEN p_size % 2 = 0 THEN 10.0::DOUBLE ELSE 6.0::DOUBLE END, 1)), 8)) END AS BIGINT) AS workers,
+  CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false ELSE p_size % 2 = 0 END AS in_turn FROM part""")
+def resource_plan(spark, sf):
+    """How many units to work on at once, and whether reads take turns, over made-up machines."""
+    p = src.table(spark, sf, "part")
+    c = F.col
+    asked = F.when(c("p_size") % 5 == 0, F.expr("p_size div 10"))
+    budget = F.when(c("p_size") % 3 == 0, c("p_partkey") * 1000)
+    workers = support.worker_count(c("p_size") * 100, budget, F.lit(8), asked, c("p_size") % 2 == 0, c("p_partkey") * 2000)
+    mode = F.when(c("p_partkey") % 4 == 0, "sequential").when(c("p_partkey") % 4 == 1, "concurrent").otherwise("auto")
+    return p.select("p_partkey", workers.alias("workers"), support.read_in_turn(mode, c("p_size") % 2 == 0).alias("in_turn"))
+
+
+@query("""SELECT n_name AS file, n_nationkey % 7 <> 0 AS in_ours, coalesce(n_nationkey % 7 <> 0 AND n_nationkey % 5 <> 0 AND n_nationkey % 3 <> 1, false) AS same_as_official, n_nationkey % 7 <> 0 AND n_nationkey % 2 = 0 AS same_as_release
+FROM nation""")
+def tree_diff(spark, sf):
+    """Files of three trees against each other."""
+    n = src.table(spark, sf, "nation").select(F.col("n_name").alias("file"), F.col("n_nationkey").alias("k"), F.sha2("n_name", 256).alias("sha256"))
+    official = n.where("k % 5 <> 0").withColumn("sha256", F.when(F.col("k") % 3 == 1, "other").otherwise(F.col("sha256")))
+    release = n.withColumn("sha256", F.when(F.col("k") % 2 == 0, F.col("sha256")).otherwise("other"))
+    return support.tree_diff(n.where("k % 7 <> 0"), official, release)
+
+
+@query(f"WITH {_CAT} SELECT regexp_replace(name, '[.][^.]+$', '') AS unit, string_agg(DISTINCT regexp_extract(name, '([^.]+)$', 1), ',' ORDER BY regexp_extract(name, '([^.]+)$', 1)) AS suffixes, count(DISTINCT n_bytes % 3) AS files FROM cat GROUP BY 1")
+def merged_units(spark, sf):
+    t = catalogs.catalog(spark, sf).withColumn("file", (F.col("n_bytes") % 3).cast("string"))
+    return support.merged_units(t).withColumn("suffixes", F.array_join("suffixes", ","))
+
+
+@query("SELECT p_partkey, min(n_name) AS definition FROM part LEFT JOIN nation ON n_regionkey = p_size % 7 GROUP BY 1")
+def release_map(spark, sf):
+    d = src.table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("key"))
+    r = src.table(spark, sf, "part").select(F.col("p_partkey").alias("release"), (F.col("p_size") % 7).alias("key"))
+    return support.release_map(d, r).withColumnRenamed("release", "p_partkey")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return exponent_histogram(spark, sf)
