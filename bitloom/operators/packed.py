@@ -124,29 +124,62 @@ def encode(tensors: list[np.ndarray], correct_luts: bool = False, idx8_block: in
     return out, {"n": n, "rounds": rounds, "total_bits": total}
 
 
-def decode(luts: np.ndarray, data: bytes, n: int, bit: int = 0) -> np.ndarray:
-    """n symbols by the tables alone; all 8-bit steps of the codes that start at each bit are looked up at once."""
-    tables, lens = luts[:-1].astype(np.int64), luts[-1].astype(np.int64)
-    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(8, np.uint8)]).astype(np.int64)
+def looked_up(luts: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(symbol, length) of the code that would start at each bit, by the tables alone; length 0 where none does."""
+    tables, lens = luts[:-1].astype(np.int64), luts[-1].astype(np.uint8)
+    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(2 + len(tables), np.uint8)]).astype(np.uint16)
+    pairs = raw[:-1] << 8 | raw[1:]
+    # The eight bits from each bit on.
+    eight = (pairs[:, None] >> np.arange(8, 0, -1, dtype=np.uint16) & 255).astype(np.uint8).ravel()
     bits = 8 * len(data)
-    at = np.arange(bits)
-    v, step = np.full(bits, 256), 0
-    table = np.zeros(bits, np.int64)
-    while (v >= 240).any() and step <= len(tables):
+    v = tables[0][eight[:bits]]
+    for step in range(1, len(tables)):
         todo = np.flatnonzero(v >= 240)
-        k = at[todo] + 8 * step
-        byte = raw[np.minimum(k >> 3, len(raw) - 2)] << 8 | raw[np.minimum((k >> 3) + 1, len(raw) - 1)]
-        got = tables[np.minimum(table[todo], len(tables) - 1), byte >> (8 - (k & 7)) & 255]
-        v[todo], table[todo] = got, 256 - got
-        step += 1
-    size = np.where(v < 240, lens[np.minimum(v, 255)], 0)
-    out, jump, sym = np.zeros(n, np.uint8), size.tolist(), v.tolist()
-    for i in range(n):
-        if bit >= bits or not jump[bit]:
-            raise Refused("undecodable", bit=bit, element=i)
-        out[i] = sym[bit]
-        bit += jump[bit]
-    return out
+        if not len(todo):
+            break
+        t = 256 - v[todo]
+        v[todo] = np.where(t < len(tables), tables[np.minimum(t, len(tables) - 1), eight[todo + 8 * step]], 256)
+    return v.astype(np.uint8), np.where(v < 240, lens[np.minimum(v, 255)], 0).astype(np.uint8)
+
+
+def decode_many(luts: np.ndarray, data: bytes, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The symbols of runs that start at given bits, one after the other; all runs advance together, code by code."""
+    sym, size = looked_up(luts, data)
+    counts = np.asarray(counts, np.int64)
+    order = np.argsort(-counts, kind="stable")
+    pos, left = np.asarray(starts, np.int64)[order], counts[order]
+    most = int(left[0]) if len(left) else 0
+    out = np.zeros((most, len(left)), np.uint8)
+    live = np.searchsorted(-left, -np.arange(most), "left")  # runs longer than each step
+    for k in range(most):
+        at = pos[: live[k]]
+        if at.max() >= len(size):
+            raise Refused("undecodable", bit=int(at.max()), element=k)
+        step = size[at]
+        if not step.all():
+            raise Refused("undecodable", bit=int(at[np.argmin(step)]), element=k)
+        out[k, : live[k]] = sym[at]
+        at += step
+    runs: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(left)
+    for k, i in enumerate(order):
+        runs[i] = out[: counts[i], k]
+    return np.concatenate(runs) if runs else np.zeros(0, np.uint8)
+
+
+def decode(luts: np.ndarray, data: bytes, n: int, bit: int = 0) -> np.ndarray:
+    """n symbols from a bit on."""
+    return decode_many(luts, data, np.array([bit]), np.array([n]))
+
+
+def decode_stream(luts: np.ndarray, data: bytes, gaps: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    """A whole unit, its chunks together: each starts at its bit and its window's gap."""
+    chunks = np.arange(len(positions) - 1)
+    return decode_many(luts, data, chunks * CHUNK_BITS + gaps[chunks * WINDOWS_PER_CHUNK], np.diff(positions))
+
+
+def unpack_gaps(packed: bytes) -> np.ndarray:
+    bits = np.unpackbits(np.frombuffer(packed, np.uint8))
+    return bits[: len(bits) // 5 * 5].reshape(-1, 5) @ np.array([16, 8, 4, 2, 1])
 
 
 def recombined(e: np.ndarray, sm: np.ndarray) -> np.ndarray:
