@@ -102,17 +102,17 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-12)
 
 
-def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means from the farthest-first start; at most k centroids, none empty."""
-    c = [_unit(x.mean(0))]
-    near = x @ c[0]
-    for _ in range(1, min(k, len(x))):
-        c.append(x[int(np.argmin(near))])
-        near = np.maximum(near, x @ c[-1])
-    c = np.array(c)
+def _clusters(x: np.ndarray, k: int, rounds: int = 12, least: float = 0.05) -> np.ndarray:
+    """Spherical k-means from rows at even steps of their cosine to the mean; at most k centroids.
+
+    Centroids of less than ``least`` of the rows stand for outliers, not for a language, and are given up.
+    """
+    order = np.argsort(x @ _unit(x.mean(0)), kind="stable")
+    c = x[order[[(2 * j + 1) * len(x) // (2 * k) for j in range(min(k, len(x)))]]]
     for _ in range(rounds):
         to = np.argmax(x @ c.T, 1)
-        c = np.array([_unit(x[to == j].mean(0)) for j in range(len(c)) if (to == j).any()])
+        own = [x[to == j] for j in range(len(c))]
+        c = np.array([_unit(m.mean(0)) for m in own if len(m) >= max(1, least * len(x))])
     return c
 
 
@@ -142,7 +142,8 @@ def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str, centroids:
     """Learns from rows with a text that has a letter and a language.
 
     ``fit_rows`` bounds the rows a language from which centroids are made; the idf is that of all rows.
-    A centroid's floor is ``slack`` times the cosine that all but a hundredth of its own rows reach.
+    A centroid's floor is ``slack`` times the cosine that all but a hundredth of its own rows reach, or the
+    least such figure of its language, whose short texts lie farther from centroids of long ones.
     """
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
     df, n = document_frequencies(rows.select("t"))
@@ -169,11 +170,11 @@ def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str, centroids:
         c = _clusters(x, centroids)
         sims = x @ c.T
         to = np.argmax(sims, 1)
-        for j in range(len(c)):
-            own = sims[to == j, j]
-            langs.append(name)
-            mats.append(c[j])
-            floors.append(slack * float(np.quantile(own, 0.01)) if len(own) else 0.0)
+        own = [sims[to == j, j] for j in range(len(c))]
+        floor = slack * min(float(np.quantile(o, 0.01)) for o in own if len(o))
+        langs += [name] * len(c)
+        mats += list(c)
+        floors += [floor] * len(c)
     return Centroids(idf, langs, np.array(mats, np.float32).reshape(-1, DIM), np.array(floors))
 
 
