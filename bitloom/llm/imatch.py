@@ -27,6 +27,9 @@ ENOUGH = 24  # subsets that likeness is taken from, the smallest first
 _SALTS = np.array([xxhash.xxh64_intdigest(f"subset {k}") | 1 for k in range(PER_LEVEL)], np.uint64)
 
 
+_ROWS, _ENDS = np.arange(PER_LEVEL, dtype=np.int8), np.arange(PER_LEVEL + 1)
+
+
 def term_hashes(text: str | None) -> np.ndarray:
     """Sorted 64-bit hashes of a text's distinct words."""
     return np.unique(np.array([xxhash.xxh64_intdigest(w, 7) for w in set(words_of(text))], np.uint64))
@@ -45,12 +48,16 @@ def fingerprint(terms: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(32)
         low = mixed & (np.uint64(0) - mixed)
-        depth = np.where(low == 0, LEVELS, np.minimum(np.log2(np.maximum(low, 1).astype(np.float64)), LEVELS)).astype(np.int64)
-        for k in range(PER_LEVEL):
-            deepest = depth[k].max()
-            for level in range(min(LEVELS, deepest)):
-                own = terms[depth[k] > level]
-                out[level, k] = xxhash.xxh64_intdigest(own.tobytes(), k) % 65535 + 1
+        deep = np.where(low == 0, LEVELS, np.minimum(np.frexp(low.astype(np.float64))[1] - 1, LEVELS)).astype(np.int8).ravel()
+        # Rows of subsets one after the other, each with its words still sorted; from level to level half of the words go.
+        own, row = np.tile(terms, PER_LEVEL), np.repeat(_ROWS, len(terms))
+        for level in range(LEVELS):
+            keep = np.flatnonzero(deep > level)
+            if not keep.size:
+                break
+            own, deep, row = own[keep], deep[keep], row[keep]
+            data, ends = own.tobytes(), (8 * np.searchsorted(row, _ENDS)).tolist()
+            out[level] = [xxhash.xxh64_intdigest(data[a:b], k) % 65535 + 1 if b > a else 0 for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
     return out
 
 
