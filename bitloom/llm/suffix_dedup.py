@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,8 @@ from .suffix_sort import equal_windows
 
 WINDOW, GRAM = 50, 20
 SPAN = WINDOW - GRAM + 1  # windows that an anchor can have
-LAST = (1 << 63) - 1  # stands for a null id
+PIECE = 1 << 21  # bytes that are hashed together
+LAST = (1 << 63) - 1  # and the 2^56 before it stand for null ids
 _BASE = 0x9E3779B97F4A7C15
 _VALUE = np.random.default_rng(50).integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -57,7 +59,21 @@ def _least(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(buffer: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor's hash, content's hash, document, first and last window) of documents laid end to end; ends[0] is 0."""
+    """(anchor's hash, content's hash, document, first and last window) of documents laid end to end; ends[0] is 0.
+
+    A document of more than PIECE windows comes alone, and its segments end where pieces of as many do.
+    """
+    if len(ends) > 2 or len(buffer) <= PIECE:
+        return _segments(buffer, ends)
+    parts = []
+    for at in range(0, len(buffer) - WINDOW + 1, PIECE):
+        piece = buffer[at : at + PIECE + WINDOW - 1]
+        h, c, d, lo, hi = _segments(piece, np.array([0, len(piece)]))
+        parts.append((h, c, d, lo + at, hi + at))
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+
+def _segments(buffer: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     empty = np.zeros(0, np.int64)
     if len(buffer) < WINDOW:
         return empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty
@@ -80,18 +96,25 @@ def segments(buffer: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h ^ (h >> np.uint64(32)), c, doc[new], lo, hi
 
 
-def _batches(batches: Iterator[pa.RecordBatch], size: int = 1 << 23) -> Iterator[tuple[list, list[bytes]]]:
-    """(ids, texts as bytes) of some documents together, of ``size`` bytes or one document."""
+def _key(i: int | None, text: bytes) -> int:
+    """A null id comes after all others, and among its like in the order of a hash of the text."""
+    return LAST - (xxhash.xxh64_intdigest(text) >> 8) if i is None else i
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+    """(ids, texts as bytes) of some documents together, of PIECE bytes, or one longer document alone."""
     ids, texts, held = [], [], 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            b = (t or "").encode("utf-8", "replace")
-            ids.append(LAST if i is None else i)
-            texts.append(b)
-            held += len(b)
-            if held >= size or len(ids) == 60_000:
-                yield ids, texts
-                ids, texts, held = [], [], 0
+        for lo in range(0, batch.num_rows, 512):
+            part = batch.slice(lo, 512)
+            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                b = (t or "").encode("utf-8", "replace")
+                if ids and (held + len(b) > PIECE or len(ids) == 60_000):
+                    yield ids, texts
+                    ids, texts, held = [], [], 0
+                ids.append(_key(i, b))
+                texts.append(b)
+                held += len(b)
     if ids:
         yield ids, texts
 
@@ -237,7 +260,7 @@ def _cleaned(keep_text: bool):
                         gone = lost_windows(text, [(x["o"], x["mask"]) for x in lost])
                         kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                         spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-                    out.append((None if doc == LAST else doc, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
+                    out.append((None if doc >= LAST - (1 << 56) else doc, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
@@ -248,15 +271,16 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
-            ids = [LAST if i is None else i for i in part.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([pack.compress((t or "").encode("utf-8", "replace")) for t in part.column(1).to_pylist()], pa.binary())], ["doc", "z"])
+            texts = [(t or "").encode("utf-8", "replace") for t in part.column(1).to_pylist()]
+            keys = [_key(i, t) for i, t in zip(part.column(0).to_pylist(), texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(map(pack.compress, texts), pa.binary())], ["doc", "z"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept), one row per row; kept is the bytes left.
 
-    ids are whole numbers; a null id comes after all others, and rows that share an id, null too, are never earlier
-    than each other. Null texts are empty; texts of fewer than WINDOW bytes lose nothing.
+    ids are whole numbers, and rows that share one are repetitions of a row. Null ids come after all others, in the
+    order of a hash of their texts. Null texts are empty; texts of fewer than WINDOW bytes lose nothing.
     """
     spark = docs.sparkSession
     shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
