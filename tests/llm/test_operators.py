@@ -11,7 +11,7 @@ import xxhash
 from fixtures import documents, frame, prose
 
 import corpus_pipeline
-from bitloom.llm import common, imatch, langid, lattice_lm, line_spread, mixing, quality_crf, registry, sentence_spans, simhash_cover, suffix_dedup, suffix_sort, tiling
+from bitloom.llm import common, imatch, langid, lattice_lm, line_spread, mixing, near_copies, quality_crf, registry, sentence_spans, simhash_cover, suffix_dedup, suffix_sort, tiling
 
 
 @pytest.fixture(scope="module")
@@ -229,6 +229,34 @@ def test_near_groups(spark, docs, none):
     assert kept.columns == docs.columns and simhash_cover.near_groups(none).count() == 0
 
 
+def test_pipeline_drops_edited_copies(spark, docs, none):
+    def edited(k, gaps):
+        w = prose(7000 + k, 300).split()
+        for g in gaps:
+            w[g] = "edited"
+        return " ".join(w)
+
+    rows = [(2000 + 10 * k + j, edited(k, range(10, 300, 60 // j) if j else []), "en", "s1") for k in range(12) for j in range(3)]
+    rows += [(3000 + k, prose(7000 + k, 300) + " " + prose(8000 + k, 200), "en", "s1") for k in range(12)]  # half of it another text
+    rows += [(4000 + k, edited(50, [30 + 3 * k]), "en", "s1") for k in range(40)]  # one group
+    rows = documents(rows)
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := words(t)) else frozenset() for _, t, *_ in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if group[a] != group[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = group[a], group[b]
+                group = [min(x, y) if g in (x, y) else g for g in group]
+    least = {g: min((rows[k][0] for k in range(len(rows)) if group[k] == g and rows[k][0] is not None), default=None) for g in group}
+    d = frame(spark, rows).repartition(3)
+    assert Counter((r.id, r.component_id) for r in near_copies.near_groups(d).collect()) == Counter((r[0], least[group[k]]) for k, r in enumerate(rows))
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, d, "")
+    ids = {r.doc_id for r in kept.collect()}
+    assert kept.columns == d.columns and ids == set(least.values())
+    assert not ids & {2001 + 10 * k for k in range(12)} and {3000 + k for k in range(12)} <= ids
+    assert near_copies.near_groups(none).count() == 0
+
+
 # 6
 def test_languages(docs, none, spark):
     de = lambda k: " ".join(random.Random(k).choice("der die und nicht über schön straße wäre haus gegen".split()) for _ in range(30))
