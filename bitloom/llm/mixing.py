@@ -1,8 +1,9 @@
 """Mixing sources to target weights by a low-discrepancy slot schedule; DataFrame operations only.
 
 The mix is a row of slots. Slot i lies at the point frac((i + 1/2) * (golden ratio - 1)) of the unit
-interval, which the sources' cumulative target shares cut into pieces; so every stretch of the schedule
-holds each source in nearly its share. The r-th slot of a source takes block r, modulo its blocks, of that
+interval, which the sources' cumulative shares cut into pieces; so every stretch of the schedule
+holds each source in nearly its share. A source's share is that of its target over its block length, which is one for all
+sources but those whose targets it would cut into too few slots. The r-th slot of a source takes block r, modulo its blocks, of that
 source's shuffled token stream: documents in the order of a hash, end to end, cut into blocks of equal
 token counts. A document's take is the overlap of its tokens with the blocks taken, repeats counted.
 """
@@ -40,12 +41,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     return rows.select("source", "source_size", F.least("cap", F.col("at") * F.col("w")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, slots_per_root: float = 8.0) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, slots_per_root: float = 8.0, least_slots: int = 64) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken), one row per input row.
 
     ``weights`` go to the sources in code-point order, null last, repeating; all targets make up ``share``
     times all tokens, none above ``most`` times its source. Blocks hold sqrt(all tokens) / slots_per_root
-    tokens, so both blocks and slots grow with the root of the corpus. Null or empty texts have size 0 and
+    tokens, so both blocks and slots grow with the root of the corpus; those of a source with a small target hold
+    its target / ``least_slots``, one at least. Null or empty texts have size 0 and
     are never taken; rows that repeat an id count as documents of their own; an empty table gives no rows.
     No document is taken more than ``most`` times: a source's slots beyond its last permitted round are void.
     """
@@ -59,9 +61,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     targets = checkpointed(source_targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, share, most))
     upto = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    plan = targets.withColumns({"hi": F.sum("target").over(upto), "all": F.sum("target").over(every), "tokens": F.sum("source_size").over(every)})
-    plan = plan.withColumn("block", F.greatest(F.lit(1), F.floor(F.sqrt(F.col("tokens").cast("double")) / slots_per_root)).cast("long"))
-    plan = plan.withColumns({"n_blocks": F.ceil(F.col("source_size") / F.col("block")), "lo": (F.col("hi") - F.col("target")) / F.col("all"), "hi": F.col("hi") / F.col("all"), "n_slots": F.round(F.col("all") / F.col("block")).cast("long")})
+    plan = targets.withColumns({"all": F.sum("target").over(every), "tokens": F.sum("source_size").over(every)})
+    plan = plan.withColumn("most", F.greatest(F.lit(1), F.floor(F.sqrt(F.col("tokens").cast("double")) / slots_per_root)).cast("long"))
+    plan = plan.withColumn("block", F.greatest(F.lit(1), F.least("most", F.floor(F.col("target") / F.lit(least_slots)))).cast("long"))
+    # What a source has of the schedule are its slots, in units of the longest block.
+    plan = plan.withColumn("has", F.col("target") * (F.col("most") / F.col("block")))
+    plan = plan.withColumns({"hi": F.sum("has").over(upto), "all": F.sum("has").over(every)})
+    plan = plan.withColumns({"n_blocks": F.ceil(F.col("source_size") / F.col("block")), "lo": (F.col("hi") - F.col("has")) / F.col("all"), "hi": F.col("hi") / F.col("all"), "n_slots": F.round(F.col("all") / F.col("most")).cast("long")})
     plan = checkpointed(plan.where("target > 0").select("source", "block", "n_blocks", "lo", "hi", "n_slots"))
     head = plan.agg(F.max("n_slots"), F.max("hi"), F.count("*")).first()
     rank_of = _slots(docs.sparkSession, plan, int(head[0] or 0), float(head[1] or 1.0))

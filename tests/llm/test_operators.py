@@ -155,6 +155,16 @@ def test_mix_meets_targets(spark, docs, none):
     assert mixing.mixed_documents(docs).columns == [*docs.columns, "words_taken"]
 
 
+def test_mix_meets_targets_of_small_sources(spark):
+    rows = [(i, "w " * 2000, "en", f"big{i % 3}") for i in range(1500)] + [(5000 + 100 * k + j, "w " * (1 + k), "en", f"small{k:02}") for k in range(40) for j in range(1 + k % 10)]
+    got = mixing.mix_sources(frame(spark, rows)).collect()
+    target, taken = {}, Counter()
+    for r in got:
+        target[r.source] = r.target
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - t) <= max(3, 0.06 * t) for s, t in target.items())
+
+
 # 4
 def brute(lattice, pieces, word):
     known, t = dict(zip(pieces, lattice.logp, strict=False)), b" " + word
