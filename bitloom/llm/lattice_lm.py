@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, remainder, table, words_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-LONGEST = 8  # bytes of a piece; longer ones are left out
+PACKED = 8  # bytes of a piece that make up a key as they are; longer ones are keyed by a rolling hash of 64 bits
+ROLL = np.uint64(0x9E3779B97F4A7C15)
 LOG10 = np.log(10.0)
 DISCOUNT = 0.75
 
@@ -43,38 +44,49 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     for i in range(sp.get_piece_size()):
         if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)):
             piece = sp.id_to_piece(i).replace("▁", " ").encode()
-            if len(piece) <= LONGEST and b" " not in piece[1:]:
+            if b" " not in piece[1:]:
                 ranks[piece] = max(0.0, -float(sp.get_score(i)))
     pieces = sorted(ranks)
     p = np.array([1 / (10 + ranks[x]) for x in pieces])
     return pieces, np.log(p / p.sum())
 
 
+def _key(piece: bytes) -> int:
+    """What ``Lattice._arcs`` makes of a piece's bytes."""
+    key = int.from_bytes(piece[:PACKED], "little")
+    for b in piece[PACKED:]:
+        key = (key * int(ROLL) + b) & (1 << 64) - 1
+    return key
+
+
 class Lattice:
     """Pieces with their natural log probabilities."""
 
     def __init__(self, pieces: list[bytes], logp: np.ndarray):
         self.logp = np.append(logp, -np.inf)
         self.tables = []
-        for n in range(1, LONGEST + 1):
-            own = sorted((int.from_bytes(x, "little"), i) for i, x in enumerate(pieces) if len(x) == n)
+        for n in range(1, max(map(len, pieces)) + 1):
+            own = sorted((_key(x), i) for i, x in enumerate(pieces) if len(x) == n)
             self.tables.append((np.array([k for k, _ in own], np.uint64), np.array([i for _, i in own], np.int64)))
 
     def _arcs(self, a: np.ndarray) -> list[np.ndarray]:
         """For each length, the piece (or none: the last number) at each start of each word, of one length all."""
         out, key = [], np.zeros(a.shape, np.uint64)
-        for n, (keys, ids) in enumerate(self.tables, 1):
-            if n > a.shape[1] or not len(keys):
+        for n, (keys, ids) in enumerate(self.tables[: a.shape[1]], 1):
+            span = a.shape[1] - n + 1
+            k, last = key[:, :span], a[:, n - 1 :].astype(np.uint64)
+            if n <= PACKED:
+                k |= last << np.uint64(8 * (n - 1))
+            else:
+                k *= ROLL
+                k += last
+            if not len(keys):
                 out.append(None)
-                if n > a.shape[1]:
-                    break
-                key[:, : a.shape[1] - n + 1] |= a[:, n - 1 :].astype(np.uint64) << np.uint64(8 * (n - 1))
                 continue
-            span = a.shape[1] - n + 1
-            key[:, :span] |= a[:, n - 1 :].astype(np.uint64) << np.uint64(8 * (n - 1))
-            k = key[:, :span]
             at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-            out.append(np.where(keys[at] == k, ids[at], len(self.logp) - 1))
+            met = keys[at] == k
+            # Long pieces are rare: a length that no word here has is passed over.
+            out.append(np.where(met, ids[at], len(self.logp) - 1) if n <= PACKED or met.any() else None)
         return out
 
     def _forward(self, arcs: list, shape: tuple[int, int]) -> np.ndarray:
@@ -82,7 +94,7 @@ class Lattice:
         f = np.full((n + 1, w), -np.inf)
         f[0] = 0
         for j in range(1, n + 1):
-            terms = [f[j - k] + self.logp[arcs[k - 1][:, j - k]] for k in range(1, min(LONGEST, j) + 1) if k <= len(arcs) and arcs[k - 1] is not None]
+            terms = [f[j - k] + self.logp[arcs[k - 1][:, j - k]] for k in range(1, min(len(arcs), j) + 1) if arcs[k - 1] is not None]
             f[j] = np.logaddexp.reduce(terms)
         return f
 
@@ -102,7 +114,7 @@ class Lattice:
             b = np.full((n + 1, a.shape[0]), -np.inf)
             b[n] = 0
             for i in range(n - 1, -1, -1):
-                terms = [b[i + k] + self.logp[arcs[k - 1][:, i]] for k in range(1, min(LONGEST, n - i) + 1) if k <= len(arcs) and arcs[k - 1] is not None]
+                terms = [b[i + k] + self.logp[arcs[k - 1][:, i]] for k in range(1, min(len(arcs), n - i) + 1) if arcs[k - 1] is not None]
                 b[i] = np.logaddexp.reduce(terms)
             for k, ids in enumerate(arcs, 1):
                 if ids is not None:

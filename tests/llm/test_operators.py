@@ -185,6 +185,23 @@ def test_lattice_sums_over_all_cuts():
     assert np.isclose(sum(c * len(p) for c, p in zip(n, pieces)), sum(len(w) + 1 for w in tokens))
 
 
+def test_lattice_has_pieces_of_every_length():
+    pieces, logp = lattice_lm.vocabulary(lattice_lm.VOCABULARY)
+    assert {b" function", b" something"} <= set(pieces)
+    lattice, known = lattice_lm.Lattice(pieces, logp), dict(zip(pieces, logp))
+    tokens = [b"guarantee", b"function", b"something", b"functions", b"responsibilities", b"a", "überraschungen".encode(), b"x" * 40]
+
+    def every_cut(t):
+        f = [0.0] + [-np.inf] * len(t)
+        for j in range(1, len(t) + 1):
+            f[j] = np.logaddexp.reduce([f[i] + known.get(t[i:j], -np.inf) for i in range(j)])
+        return f[-1]
+
+    assert np.allclose(lattice.word_scores(tokens), [every_cut(b" " + w) for w in tokens])
+    n = lattice.expected(tokens, np.ones(len(tokens)))
+    assert np.isclose(sum(c * len(p) for c, p in zip(n, pieces)), sum(len(w) + 1 for w in tokens))
+
+
 def test_scores_of_documents(docs, none):
     held = common.remainder("doc_id", 10) == 0
     got = lattice_lm.score_documents(docs, ~held, frequent=0.01).collect()
