@@ -1,8 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends with a word that ends in . ! or ?, or with a line. One without an end in sight is cut after
-``most_words`` / 2 words or more, at the first word whose hash says so, and after 2 * ``most_words`` at the
-latest: so that a passage without full stops falls into the same pieces wherever it begins. Every run of ``run`` consecutive sentences of a document
+A sentence ends with a word that ends in . ! or ?, or with a line. Within one, pieces end at words whose hash, with
+that of the word before, is the least of the three words on either side, so that a passage falls into the same pieces
+wherever it begins; where no such word comes for ``most_words`` words, a piece ends there or up to two words earlier. Every run of ``run`` consecutive sentences of a document
 is hashed; the first place of each hash, by id and then place, keeps it, and sentences that any other place of a
 repeated hash covers are removed.
 """
@@ -24,29 +24,45 @@ from .common import table
 
 _WORD = re.compile(r"[^ \t-\r]+")
 _LINE = re.compile(r"[^\n]+")
+REACH = 3
+
+
+def _ends(words: list[str], most_words: int) -> list[int]:
+    """The places of the last words of a line's pieces. Whether a word is the least around it depends on no other piece."""
+    out, start = [], 0
+    for last, w in enumerate(words):
+        if w[-1] in ".!?" or last == len(words) - 1:
+            n = last + 1 - start
+            if n > REACH:
+                c = [crc32(x.encode("utf-8", "replace").lower()) for x in words[start : last + 1]]
+                h = [(x * 0x9E3779B1 + y * 0x85EBCA77) & 0xFFFFFFFF for x, y in zip([0, *c], c, strict=False)]
+                cut = -1
+                for k in range(REACH, n - 1):
+                    x = h[k]
+                    if x <= h[k + 1] and x < h[k - 1] and k + REACH < n and x < min(h[k - REACH : k]) and x <= min(h[k + 1 : k + REACH + 1]):
+                        cut = k
+                    elif k - cut >= most_words or k - cut >= most_words - 2 and k + 2 < n and x <= min(h[k - 2], h[k - 1], h[k + 1], h[k + 2]):
+                        cut = k
+                    else:
+                        continue
+                    out.append(start + k)
+            out.append(last)
+            start = last + 1
+    return out
 
 
 def sentences(text: str | None, most_words: int = 12) -> tuple[list[str], list[tuple[int, int]]]:
     """The sentences, lower-cased (A-Z) with single blanks, and where each lies in the text."""
     out: list[str] = []
     at: list[tuple[int, int]] = []
-    half = max(1, most_words // 2)
     for line in _LINE.finditer(text or ""):
-        base, words, start, end = line.start(), [], 0, 0
-        for m in _WORD.finditer(line[0]):
-            w = m[0]
-            if not words:
-                start = m.start()
-            words.append(w)
-            end = m.end()
-            n = len(words)
-            if w[-1] in ".!?" or n >= half and (n == 2 * most_words or crc32(w.encode("utf-8", "replace")) & 3 == 0):
-                out.append(" ".join(words))
-                at.append((base + start, base + end))
-                words = []
-        if words:
-            out.append(" ".join(words))
-            at.append((base + start, base + end))
+        base, found = line.start(), list(_WORD.finditer(line[0]))
+        words = [m[0] for m in found]
+        first = 0
+        for end in _ends(words, most_words):
+            out.append(" ".join(words[first : end + 1]))
+            at.append((base + found[first].start(), base + found[end].end()))
+            first = end + 1
     return [s.encode("utf-8", "replace").lower().decode() for s in out], at
 
 

@@ -367,6 +367,21 @@ def test_sentence_spans(docs, none):
     assert len(a & b) >= 3
 
 
+def test_passages_of_51_words_hold_a_span_at_every_offset():
+    r = random.Random(8)
+    some = lambda n: [f"w{min(19_999, int(r.paretovariate(0.6)))}" for _ in range(n)]
+    passages = [some(51) for _ in range(40)] + [["ha"] * 51, ["a", "b"] * 25 + ["a"], ["a", "b", "c"] * 17]
+    for passage in passages:
+        for offset in range(1, 30):
+            spans = []
+            for before in (some(offset), some(r.randrange(1, 40))):
+                s, at = sentence_spans.sentences(" ".join(before + passage + some(20)))
+                lo = len(" ".join(before)) + 1
+                hi = lo + len(" ".join(passage))
+                spans.append({tuple(s[k : k + 3]) for k in range(len(s) - 2) if at[k][0] >= lo and at[k + 2][1] <= hi})
+            assert spans[0] & spans[1]
+
+
 # 9
 def plain_tiling(item, doc, m):
     """Marks the longest match of unmarked words, again and again."""
