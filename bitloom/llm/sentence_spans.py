@@ -27,14 +27,14 @@ _LINE = re.compile(r"[^\n]+")
 REACH = 3
 
 
-def _ends(words: list[str], most_words: int) -> list[int]:
+def _ends(words: list[bytes], most_words: int) -> list[int]:
     """The places of the last words of a line's pieces. Whether a word is the least around it depends on no other piece."""
     out, start = [], 0
     for last, w in enumerate(words):
-        if w[-1] in ".!?" or last == len(words) - 1:
+        if w[-1] in b".!?" or last == len(words) - 1:
             n = last + 1 - start
             if n > REACH:
-                c = [crc32(x.encode("utf-8", "replace").lower()) for x in words[start : last + 1]]
+                c = list(map(crc32, words[start : last + 1]))
                 h = [(x * 0x9E3779B1 + y * 0x85EBCA77) & 0xFFFFFFFF for x, y in zip([0, *c], c, strict=False)]
                 cut = -1
                 for k in range(REACH, n - 1):
@@ -57,13 +57,13 @@ def sentences(text: str | None, most_words: int = 12) -> tuple[list[str], list[t
     at: list[tuple[int, int]] = []
     for line in _LINE.finditer(text or ""):
         base, found = line.start(), list(_WORD.finditer(line[0]))
-        words = [m[0] for m in found]
+        words = line[0].encode("utf-8", "replace").lower().split()
         first = 0
         for end in _ends(words, most_words):
-            out.append(" ".join(words[first : end + 1]))
+            out.append(b" ".join(words[first : end + 1]).decode())
             at.append((base + found[first].start(), base + found[end].end()))
             first = end + 1
-    return [s.encode("utf-8", "replace").lower().decode() for s in out], at
+    return out, at
 
 
 def cut(text: str, at: list[tuple[int, int]], gone: set[int]) -> str:
