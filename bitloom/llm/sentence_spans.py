@@ -15,8 +15,9 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,42 +85,72 @@ def _mark(text: str | None) -> int:
     return crc32((text or "").encode("utf-8", "replace"))
 
 
+OPEN, REPEAT, COUNT = 0, 1, 2
+
+
+def _kinds(h: np.ndarray, g: np.ndarray, rank: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """REPEAT for spans of which the same rows have an earlier one; ``rank`` is that of the span's id."""
+    kind = np.zeros(len(h), np.int8)
+    by = np.argsort(h, kind="stable")
+    same = h[by][1:] == h[by][:-1]
+    by = by[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+    if len(by):
+        by = by[np.lexsort((p[by], rank[by], g[by], h[by]))]
+        new = np.flatnonzero(np.concatenate(([True], (np.diff(h[by]) != 0) | (np.diff(g[by]) != 0))))
+        first = by[np.repeat(new, np.diff(np.append(new, len(by))))]
+        kind[by] = np.where((rank[by] != rank[first]) | (p[by] != p[first]), REPEAT, OPEN)
+    return kind
+
+
 def _spans(docs: DataFrame, id_col: str, text_col: str, run: int, most_words: int) -> DataFrame:
-    """(h, g, id, p): the 96-bit hash of each span, and its place: where it starts, then a hash of the text."""
+    """(kind, h, g, id, p): the 96-bit hash of each span, and its place: where it starts, then a hash of the text.
+
+    Spans that are known to be repeats, and a row a document with its number of sentences in place of a start, have
+    any hash, so that they are dealt out evenly.
+    """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                digests, n, marks = [], [], []
+                digests, sizes, n, marks = [], [], [], []
                 for text in part.column(1).to_pylist():
                     marks.append(_mark(text))
                     s = sentences(text, most_words)[0]
                     spans = ["\n".join(x) for x in zip(*(s[k:] for k in range(run)), strict=False)]
                     digests += [xxhash.xxh3_128_digest(x) for x in spans]
+                    sizes.append(len(s))
                     n.append(len(spans))
-                if digests:
-                    h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                    row = np.repeat(np.arange(len(n)), n)
-                    k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1].astype(np.int32)), part.column(0).take(pa.array(row)), pa.array(k << 32 | np.array(marks)[row])], ["h", "g", "id", "p"])
+                both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                h, g = both[:, 0], both[:, 1].astype(np.int32)
+                marks, row = np.array(marks), np.repeat(np.arange(len(n)), n)
+                p = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) << 32 | marks[row]
+                rank = pc.rank(part.column(0), sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
+                kind = _kinds(h, g, rank[row], p)
+                h = np.where(kind == REPEAT, (h ^ p) * 0x5851F42D4C957F2D, h)
+                columns = [np.append(kind, np.full(len(n), COUNT, np.int8)), np.append(h, marks), np.append(g, np.zeros(len(n), np.int32))]
+                ids = part.column(0).take(pa.array(np.append(row, np.arange(len(n)))))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), ids, pa.array(np.append(p, np.array(sizes) << 32 | marks))], ["kind", "h", "g", "id", "p"])
 
-    return d.mapInArrow(hashed, f"h long, g int, id {d.schema['id'].dataType.simpleString()}, p long")
+    return d.mapInArrow(hashed, f"kind byte, h long, g int, id {d.schema['id'].dataType.simpleString()}, p long")
 
 
 def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3, most_words: int = 12) -> DataFrame:
-    """(id, starts): for each document with repeated spans that aren't the first, where they start.
+    """(id, mark, starts, n): for each id and hash of a text, where its repeated spans that aren't the first start, and its sentences.
 
-    Firsts are found by a minimum per hash, pre-aggregated; the join back on a hot hash is one that
-    Spark can split. Starts are at most as many as the document's sentences.
+    Texts are cut once, and their spans dealt out once. Of a hot hash, each few hundred documents that are read together
+    send their first span to its task, and their others elsewhere. Starts are at most as many as the document's
+    sentences. n is null for texts of one id and hash whose numbers differ.
     """
     spans = _spans(docs, id_col, text_col, run, most_words)
-    # Null ids come last.
-    place = F.struct(F.col("id").isNull().alias("z"), "id", "p")
-    firsts = spans.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first")
-    other = spans.join(firsts, ["h", "g"]).where(~((F.col("id").eqNullSafe(F.col("first.id"))) & (F.col("p") == F.col("first.p"))))
-    return other.groupBy("id").agg(F.collect_set("p").alias("starts"))
+    # Null ids come last. Places that equal the first have its rank.
+    rank = F.rank().over(Window.partitionBy("kind", "h", "g").orderBy(F.col("id").isNull(), "id", "p"))
+    found = spans.withColumn("rank", rank).where((F.col("kind") != OPEN) | (F.col("rank") > 1))
+    size = F.when(F.col("kind") == COUNT, F.shiftright("p", 32).cast("int"))
+    starts = F.collect_set(F.when(F.col("kind") != COUNT, F.col("p")))
+    by = found.groupBy("id", F.col("p").bitwiseAND(0xFFFFFFFF).alias("mark")).agg(starts.alias("starts"), F.min(size).alias("n"), F.max(size).alias("most"))
+    return by.select("id", "mark", "starts", F.when(F.col("n") == F.col("most"), F.col("n")).alias("n"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3, most_words: int = 12) -> DataFrame:
@@ -128,10 +159,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Documents of fewer than ``run`` sentences have no spans and stay. Null texts stay null, empty ones empty, with
     counts of 0. A span that repeats within a document is removed there too, but for its first place. Rows
     that share an id are documents of their own, told apart by a hash of their texts; equal ones keep the same.
+    Only texts with repeats are cut into sentences again.
     """
     docs = docs.drop(*[c for c in ("n_sentences", "n_removed") if c in docs.columns])
-    starts = repeated_sentences(docs, id_col, text_col, run, most_words).select(F.col("id").alias("__id"), F.col("starts").alias("__starts"))
-    met = docs.join(starts, F.expr(f"`{id_col}` <=> __id"), "left").drop("__id")
+    found = repeated_sentences(docs, id_col, text_col, run, most_words).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("starts").alias("__starts"), F.col("n").alias("__n"))
+    met = docs.withColumn("__own", F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    met = met.join(found, F.expr(f"`{id_col}` <=> __id and __own = __mark"), "left").drop("__id", "__mark", "__own")
     schema = T.StructType([*docs.schema, T.StructField("n_sentences", T.IntegerType()), T.StructField("n_removed", T.IntegerType())])
     place = docs.columns.index(text_col)
 
@@ -140,14 +173,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 texts, n, m = [], [], []
-                for text, first in zip(part.column(place).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True):
-                    s, at = sentences(text, most_words)
-                    mark = _mark(text) if first else 0
-                    gone = {(p >> 32) + j for p in first or () if p & 0xFFFFFFFF == mark for j in range(run)}
+                for text, first, size in zip(*(part.column(k).to_pylist() for k in (place, part.num_columns - 2, part.num_columns - 1)), strict=True):
+                    gone: set[int] = set()
+                    if first or size is None:
+                        s, at = sentences(text, most_words)
+                        gone, size = {(p >> 32) + j for p in first or () for j in range(run)}, len(s)
                     texts.append(cut(text, at, gone) if gone else text)
-                    n.append(len(s))
+                    n.append(size)
                     m.append(len(gone))
-                columns = [pa.array(texts, part.column(place).type) if k == place else part.column(k) for k in range(part.num_columns - 1)]
+                columns = [pa.array(texts, part.column(place).type) if k == place else part.column(k) for k in range(part.num_columns - 2)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int32()), pa.array(m, pa.int32())], schema.names)
 
     return met.mapInArrow(rewrite, schema)

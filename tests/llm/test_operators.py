@@ -367,6 +367,20 @@ def test_sentence_spans(docs, none):
     assert len(a & b) >= 3
 
 
+def test_texts_are_cut_and_spans_dealt_out_once(spark):
+    text = prose(31, 200)
+    rows = [(i if i % 9 else None, text if i % 2 else prose(9000 + i, 100), "en", "s") for i in range(60)]
+    d = frame(spark, rows).repartition(2)
+    out = sentence_spans.remove_repeats(d)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+    spans = sentence_spans._spans(d, "doc_id", "text", 3, 12)
+    hot = spans.where("kind = 0").groupBy("h", "g").count().agg({"count": "max"}).first()[0]
+    assert hot <= 4 < spans.where("kind = 1").count()  # as many as partitions, and none the second time but for equal places
+    # A text without repeats isn't cut again.
+    got = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in out.where("doc_id % 2 = 0").collect()}
+    assert all(got[i] == (len(sentence_spans.sentences(rows[i][1])[0]), 0, rows[i][1]) for i in range(60) if i % 2 == 0 and i % 9)
+
+
 def test_passages_of_51_words_hold_a_span_at_every_offset():
     r = random.Random(8)
     some = lambda n: [f"w{min(19_999, int(r.paretovariate(0.6)))}" for _ in range(n)]
