@@ -27,7 +27,8 @@ ENOUGH = 24  # subsets that likeness is taken from, the smallest first
 _SALTS = np.array([xxhash.xxh64_intdigest(f"subset {k}") | 1 for k in range(PER_LEVEL)], np.uint64)
 
 
-_ROWS, _ENDS = np.arange(PER_LEVEL, dtype=np.int8), np.arange(PER_LEVEL + 1)
+CHUNK_ROWS, CHUNK_CHARS = 64, 1 << 18  # rows whose fingerprints are taken together
+_SPACE = b" \t\n\v\f\r"
 
 
 def term_hashes(text: str | None) -> np.ndarray:
@@ -35,44 +36,108 @@ def term_hashes(text: str | None) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(w, 7) for w in set(words_of(text))], np.uint64))
 
 
+def _terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, place, ends): the hashes of all words, sorted, and the places among them of each text's, ascending; a word is hashed once."""
+    raw = [t.encode("utf-8", "replace").lower() if t else b"" for t in texts]
+    joined = b" ".join([b"", *raw, b""])
+    x = np.frombuffer(joined, np.uint8)
+    space = (x == 32) | (x - np.uint8(9) < 5)
+    turn = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, end = turn[::2], turn[1::2]
+    offsets = np.concatenate(([0], np.cumsum(end - start))).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(joined.translate(None, _SPACE))]).dictionary_encode()
+    hashes = np.array([xxhash.xxh64_intdigest(w, 7) for w in words.dictionary.to_numpy(zero_copy_only=False)], np.uint64)
+    terms, place = np.unique(hashes, return_inverse=True)
+    bounds = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
+    text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, bounds)))
+    key = np.sort(text * max(1, len(terms)) + place[words.indices.to_numpy()])
+    key = key[np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))]
+    text, place = np.divmod(key, max(1, len(terms)))
+    return terms, place, np.searchsorted(text, np.arange(len(texts) + 1))
+
+
+def _depths(terms: np.ndarray) -> np.ndarray:
+    """How many subsets of each row of subsets each word is in: as many as its salted hash has trailing zeros."""
+    out = np.empty((len(terms), PER_LEVEL), np.int8)
+    for lo in range(0, len(terms), 4096):
+        part = terms[lo : lo + 4096, None]
+        mixed = (part ^ (part >> np.uint64(31))) * _SALTS
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        low = mixed & (np.uint64(0) - mixed)
+        out[lo : lo + 4096] = np.where(low == 0, LEVELS, np.minimum(np.frexp(low.astype(np.float64))[1] - 1, LEVELS))
+    return out
+
+
+def _hashed_subsets(terms: list[np.ndarray], depths: list[np.ndarray]) -> np.ndarray:
+    """The fingerprints of texts of which ``terms`` has the sorted hashes that count, and ``depths`` their depths."""
+    out = np.zeros((len(terms), LEVELS, PER_LEVEL), np.uint16)
+    if not terms:
+        return out
+    # Rows of subsets one after the other, each with its words still sorted; from level to level half of the words go.
+    own = np.concatenate([np.tile(t, PER_LEVEL) for t in terms])
+    deep = np.concatenate([d.T.ravel() for d in depths])
+    bounds = np.concatenate(([0], np.cumsum(np.repeat([len(t) for t in terms], PER_LEVEL))))
+    at = np.arange(len(own))
+    for level in range(LEVELS):
+        keep = np.flatnonzero(deep > level)
+        if not keep.size:
+            break
+        at, deep = at[keep], deep[keep]
+        ends = np.searchsorted(at, bounds)
+        some = np.flatnonzero(np.diff(ends))
+        data = own[at].tobytes()
+        h = [xxhash.xxh64_intdigest(data[a:b], k) for k, a, b in zip((some % PER_LEVEL).tolist(), (8 * ends[some]).tolist(), (8 * ends[some + 1]).tolist(), strict=True)]
+        out[some // PER_LEVEL, level, some % PER_LEVEL] = np.array(h, np.uint64) % np.uint64(65535) + np.uint64(1)
+    return out
+
+
 def fingerprint(terms: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
     """16 bits for each subset, by level, the largest subsets first; 0 where the text has no word of it."""
     if len(lexicon) and len(terms):
         at = np.minimum(np.searchsorted(lexicon, terms), len(lexicon) - 1)
         known = terms[lexicon[at] == terms]
         terms = known if len(known) >= FEW else terms
-    out = np.zeros((LEVELS, PER_LEVEL), np.uint16)
-    if len(terms):
-        # How many subsets of each row of subsets a word is in: as many as its salted hash has trailing zeros.
-        mixed = (terms[None, :] ^ (terms[None, :] >> np.uint64(31))) * _SALTS[:, None]
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(32)
-        low = mixed & (np.uint64(0) - mixed)
-        deep = np.where(low == 0, LEVELS, np.minimum(np.frexp(low.astype(np.float64))[1] - 1, LEVELS)).astype(np.int8).ravel()
-        # Rows of subsets one after the other, each with its words still sorted; from level to level half of the words go.
-        own, row = np.tile(terms, PER_LEVEL), np.repeat(_ROWS, len(terms))
-        for level in range(LEVELS):
-            keep = np.flatnonzero(deep > level)
-            if not keep.size:
-                break
-            own, deep, row = own[keep], deep[keep], row[keep]
-            data, ends = own.tobytes(), (8 * np.searchsorted(row, _ENDS)).tolist()
-            out[level] = [xxhash.xxh64_intdigest(data[a:b], k) % 65535 + 1 if b > a else 0 for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
-    return out
+    return _hashed_subsets([terms], [_depths(terms)])[0]
+
+
+class Prints:
+    """Fingerprints of many texts, whose words are looked up and hashed once for all of them."""
+
+    def __init__(self, lexicon: np.ndarray):
+        self.lexicon, self.depths = lexicon, _depths(lexicon)
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        terms, place, ends = _terms(texts)
+        known = np.zeros(len(terms), bool)
+        if len(self.lexicon):
+            at = np.minimum(np.searchsorted(self.lexicon, terms), len(self.lexicon) - 1)
+            known = self.lexicon[at] == terms
+        text = np.repeat(np.arange(len(texts)), np.diff(ends))
+        few = np.bincount(text, known[place], len(texts)) < FEW
+        use = known[place] | few[text]
+        place, text = place[use], text[use]
+        depths = np.empty((len(terms), PER_LEVEL), np.int8)
+        if known.any():
+            depths[known] = self.depths[at[known]]
+        other = np.unique(place[~known[place]])
+        depths[other] = _depths(terms[other])
+        parts = np.split(place, np.searchsorted(text, np.arange(1, len(texts)))) if texts else []
+        return _hashed_subsets([terms[k] for k in parts], [depths[k] for k in parts])
+
+
+def likenesses(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair of fingerprints, the share of equal hashes among subsets that either text has words of, from the smallest subsets up to ENOUGH of them."""
+    used = ((a != 0) | (b != 0))[:, ::-1]
+    seen = used.sum(2).cumsum(1)
+    same = (used & (a == b)[:, ::-1]).sum(2).cumsum(1)
+    row, stop = np.arange(len(a)), np.minimum((seen < ENOUGH).sum(1), LEVELS - 1)
+    share = same[row, stop] / np.maximum(seen[row, stop], 1)
+    return np.where((a == b).all((1, 2)), 1.0, share)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """The share of equal hashes among subsets that either text has words of, from the smallest subsets up to ENOUGH of them."""
-    if np.array_equal(a, b):
-        return 1.0
-    same = seen = 0
-    for level in range(LEVELS - 1, -1, -1):
-        used = (a[level] != 0) | (b[level] != 0)
-        seen += int(used.sum())
-        same += int((used & (a[level] == b[level])).sum())
-        if seen >= ENOUGH:
-            break
-    return same / seen if seen else 0.0
+    return float(likenesses(a[None], b[None])[0])
 
 
 def _counted(texts: DataFrame, keep) -> DataFrame:
@@ -80,14 +145,14 @@ def _counted(texts: DataFrame, keep) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, n = [], 0, 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                t = term_hashes(text)
-                parts.append(t)
-                held += len(t)
-                n += 1
-                if held > 2_000_000:
-                    parts, held = [_merged(parts)], 0
+        for chunk in _chunks(batches, 512):
+            terms, place, _ = _terms([t for (t,) in chunk])
+            parts.append((terms, np.bincount(place, minlength=len(terms))))
+            held += len(terms)
+            n += len(chunk)
+            if held > 2_000_000:
+                parts = [_merged(parts)]
+                held = len(parts[0][0]) // 2  # so that merging costs no more than a few times what is new
         h, c = _merged(parts)
         pick = keep(h, c, n)
         h, c = h[pick], c[pick]
@@ -96,13 +161,13 @@ def _counted(texts: DataFrame, keep) -> DataFrame:
     return texts.mapInArrow(run, "h long, n long, texts long")
 
 
-def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    hs = [p[0] if isinstance(p, tuple) else p for p in parts]
-    cs = [p[1] if isinstance(p, tuple) else np.ones(len(p), np.int64) for p in parts]
-    h = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
-    c = np.concatenate(cs) if cs else np.zeros(0, np.int64)
-    u, at = np.unique(h, return_inverse=True)
-    return u, np.bincount(at, c, len(u)).astype(np.int64) if len(u) else np.zeros(0, np.int64)
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and their counts, those of all parts together."""
+    h, c = (np.concatenate([np.zeros(0, t), *(p[k] for p in parts)]) for k, t in enumerate((np.uint64, np.int64)))
+    by = np.argsort(h, kind="stable")
+    h, c = h[by], c[by]
+    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
+    return h[new], np.add.reduceat(c, new) if len(new) else c
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", rarest: float = 5e-4, commonest: float = 0.05) -> np.ndarray:
@@ -169,25 +234,40 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = in_stretches(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, out = None, []
-        for batch in batches:
-            for b, tail, i, t in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                fp = fingerprint(term_hashes(t), sent.value)
-                if last is not None and last[0] == b:
-                    _, own_id, own, own_fp = last
-                    new = edited(own, t)
-                    new_fp = fingerprint(term_hashes(new), sent.value)
-                    out.append((own_id, len(own), hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), own_fp.astype(">u2").tobytes().hex(), new_fp.astype(">u2").tobytes().hex(), likeness(own_fp, new_fp), likeness(own_fp, fp)))
-                last = None if tail else (b, i, t, fp)
-                if len(out) >= 1000:
-                    yield _rows(out)
-                    out = []
-        if out:
-            yield _rows(out)
+        prints, last = Prints(sent.value), None
+        for chunk in _chunks(batches):
+            # Each row's text, before them the last of the chunk before, and the edited text of each row but the last of a stretch.
+            before = [last[:4]] if last else []
+            rows = before + chunk
+            pairs = [k for k in range(1, len(rows)) if not rows[k - 1][1] and rows[k - 1][0] == rows[k][0]]
+            new = [edited(rows[k - 1][3], rows[k][3]) for k in pairs]
+            fps = prints([r[3] for r in chunk] + new)
+            own = np.concatenate([last[4][None], fps[: len(chunk)]]) if last else fps[: len(chunk)]
+            new_fps, at = fps[len(chunk) :], np.array(pairs, np.int64)
+            last = (*rows[-1], own[-1])
+            if pairs:
+                near = likenesses(own[at - 1], new_fps).tolist(), likenesses(own[at - 1], own[at]).tolist()
+                hexes = [x.tobytes().hex() for x in own[at - 1].astype(">u2")], [x.tobytes().hex() for x in new_fps.astype(">u2")]
+                shas = [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in new]
+                yield _rows(list(zip((rows[k - 1][2] for k in pairs), (len(rows[k - 1][3]) for k in pairs), shas, *hexes, *near, strict=True)))
 
     return rows.mapInArrow(run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_ROWS) -> Iterator[list[tuple]]:
+    """The rows, ``most`` together, fewer where texts (the last column) are long."""
+    chunk, chars = [], 0
+    for batch in batches:
+        for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True):
+            chunk.append(row)
+            chars += len(row[-1] or "")
+            if len(chunk) == most or chars > CHUNK_CHARS * most // CHUNK_ROWS:
+                yield chunk
+                chunk, chars = [], 0
+    if chunk:
+        yield chunk
+
+
 def _rows(out: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

@@ -117,6 +117,34 @@ def test_fingerprints_of_edits(docs, none):
     assert imatch.fingerprint_edits(none).count() == 0
 
 
+def test_many_fingerprints_equal_single_ones_and_hash_a_word_once(monkeypatch):
+    texts = [prose(100 + k % 30, 5 + 7 * k) for k in range(60)] + ["", "one", None]
+    counts = Counter(w for t in texts for w in set(words(t)))
+    hashed = {w: xxhash.xxh64_intdigest(w, 7) for w in counts}
+    for least in (2, 99):
+        lexicon = np.sort(np.array([hashed[w] for w, n in counts.items() if n >= least], np.uint64))
+        single = [imatch.fingerprint(imatch.term_hashes(t), lexicon) for t in texts]
+        prints = imatch.Prints(lexicon)
+        assert np.array_equal(prints(texts[:20]), single[:20]) and np.array_equal(prints(texts), single)
+        # Each hash is that of all words of a subset, sorted.
+        t = max(texts[:60], key=len)
+        terms = np.sort(np.array([hashed[w] for w in set(words(t)) if least == 99 or hashed[w] in lexicon], np.uint64))
+        assert single[texts.index(t)][0].tolist() == [xxhash.xxh64_intdigest(terms[imatch._depths(terms)[:, k] > 0].tobytes(), k) % 65535 + 1 for k in range(16)]
+    pairs = [(single[a], single[b]) for a in range(0, 63, 3) for b in range(0, 63, 4)]
+    for (a, b), got in zip(pairs, imatch.likenesses(*map(np.array, zip(*pairs))), strict=True):
+        used, same, seen = (a != 0) | (b != 0), 0, 0
+        for level in range(imatch.LEVELS - 1, -1, -1):
+            seen, same = seen + used[level].sum(), same + (used[level] & (a[level] == b[level])).sum()
+            if seen >= imatch.ENOUGH:
+                break
+        assert got == (1 if np.array_equal(a, b) else same / seen)
+    calls, h = Counter(), xxhash.xxh64_intdigest
+    monkeypatch.setattr(imatch.xxhash, "xxh64_intdigest", lambda x, k=0: calls.update([(bytes(x), k)]) or h(x, k))
+    terms, place, ends = imatch._terms(texts)
+    assert set(calls) == {(w, 7) for w in counts} and max(calls.values()) == 1
+    assert all(np.array_equal(terms[place[a:b]], sorted({hashed[w] for w in words(t)})) for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True))
+
+
 def test_lexicon_is_the_band_whatever_the_partitions(spark):
     rows = [(i, " ".join(w for k, w in enumerate(["a", "b", "c", "d"]) if i % (3**k) == 0), "en", "s") for i in range(300)]
     want = sorted(xxhash.xxh64_intdigest(w, 7) for w in (b"b", b"c"))
