@@ -6,8 +6,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from fixtures import documents, frame, prose
 
 import corpus_pipeline
@@ -374,6 +376,29 @@ def test_repeated_bytes(docs, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_segments_of_many_documents_are_found_together(monkeypatch):
+    texts = [prose(400 + k, k % 7 * 9).encode() for k in range(300)]
+    each = [suffix_dedup.segments(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts]
+    together = suffix_dedup.segments(np.frombuffer(b"".join(texts), np.uint8), suffix_dedup._ends(texts))
+    assert np.array_equal(together[0], np.concatenate([e[0] for e in each])) and np.array_equal(together[2], np.repeat(range(300), [len(e[0]) for e in each]))
+    r, calls, own = random.Random(7), [], suffix_dedup._segments
+    lost = [[{"o": o, "mask": r.choice([-1, 1 | 1 << int(hi[o] - lo[o])])} for o in range(len(lo)) if r.random() < (1 if k % 3 else 0.3)] or None for k, (_, _, _, lo, hi) in enumerate(each)]
+    kind = pa.list_(pa.struct([("o", pa.int32()), ("mask", pa.int64())]))
+    pack = zstandard.ZstdCompressor()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array([pack.compress(t) for t in texts]), pa.array(lost, kind)], ["doc", "z", "lost"])
+    monkeypatch.setattr(suffix_dedup, "_segments", lambda *a: calls.append(1) or own(*a))
+    got = [row for b in suffix_dedup._cleaned(True)(iter([batch])) for row in b.to_pylist()]
+    assert len(calls) <= 3
+    for k, (t, row) in enumerate(zip(texts, got, strict=True)):
+        gone = np.zeros(len(t), int)
+        for x in lost[k] or []:
+            for w in range(each[k][3][x["o"]], each[k][4][x["o"]] + 1):
+                if x["mask"] < 0 or x["mask"] >> (w - each[k][3][x["o"]]) & 1:
+                    gone[w : w + 50] = 1
+        kept = bytes(c for c, g in zip(t, gone) if not g)
+        assert row == {"id": k, "n_bytes": len(t), "n_removed": int(gone.sum()), "n_spans": int((np.diff(gone, prepend=0) == 1).sum()), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept}
+
+
 # 8
 def test_sentence_spans(docs, none):
     places = defaultdict(set)
