@@ -314,6 +314,35 @@ def test_pipeline_drops_edited_copies(spark, docs, none):
     assert near_copies.near_groups(none).count() == 0
 
 
+def test_near_copies_meet_at_covers(spark, monkeypatch):
+    def edited(k, n, at):
+        w = prose(7500 + k, n).split()
+        w[at] = "edited"
+        return " ".join(w)
+
+    rows = [(2 * k, prose(7500 + k, 600), "en", "s") for k in range(30)] + [(2 * k + 1, edited(k, 600, 300), "en", "s") for k in range(30)]
+    rows += [(500 + k, prose(9500 + k, 600), "en", "s") for k in range(30)] + [(900, "", "en", "s"), (901, None, "en", "s")]
+    d = frame(spark, rows)
+    prints = near_copies._prints(d, "doc_id", "text", 5, 28, 5).where("id < 900").cache()
+    fps = {r.node: (r.fp, r.size, r.id) for r in prints.collect()}
+    for _, t, *_ in rows[:5]:
+        found = near_copies.shingle_set(t, 5)
+        assert near_copies.simhash(found) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in found) > len(found))
+    got = {frozenset((r.a, r.b)) for r in near_copies.cover_pairs(prints).collect()}
+    apart = lambda x, y: ((fps[x][0] ^ fps[y][0]) & (1 << 64) - 1).bit_count()
+    pairs = [frozenset((x, y)) for x in fps for y in fps if x < y]
+    home = {n: int(simhash_cover.anchors(np.array([fps[n][0]]), 0)[1][0]) for n in fps}
+    hub = {h: min(n for n in fps if home[n] == h) for h in home.values()}
+    assert all(p in got for p in pairs if apart(*p) <= 2 and any(hub[home[n]] == n for n in p))
+    assert all(apart(*p) <= 12 for p in got)
+    # Without bands, covers alone find most copies with one word edited; both together find all.
+    whole = lambda: sum(r.id % 2 == 1 and r.component_id == r.id - 1 for r in near_copies.near_groups(d).where("id < 60").collect())
+    assert whole() == 30
+    monkeypatch.setattr(near_copies, "band_hashes", lambda found, bands, rows: [])
+    alone = near_copies.near_groups(d, bands=0).where("id < 60").collect()
+    assert 20 <= sum(r.id % 2 == 1 and r.component_id == r.id - 1 for r in alone) <= 30
+
+
 # 6
 def test_languages(docs, none, spark):
     de = lambda k: " ".join(random.Random(k).choice("der die und nicht über schön straße wäre haus gegen".split()) for _ in range(30))
