@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -405,6 +406,38 @@ def test_repeated_bytes(docs, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_texts_are_dealt_once_and_findings_go_packed(spark):
+    d = frame(spark, [(k, prose(600 + k % 50, 120), "en", "s") for k in range(200)])
+    out = suffix_dedup.remove_repeats(d)
+    assert out.where("n_removed > 0 and n_bytes > n_removed").count() == 0 and out.where("n_removed = n_bytes").count() == 150
+    plan = out._jdf.queryExecution().executedPlan()
+    out._jdf.queryExecution().toRdd().count()
+    assert plan.toString().split("== Initial Plan ==")[0].count("ReusedExchange") == 1
+    assert spark.conf.get(suffix_dedup.CLEANUP) == "false"
+    # A shard's lost segments of many documents: some four bytes each.
+    r = random.Random(3)
+    doc, o = np.array([r.randrange(10**6) for _ in range(20_000)]), np.array([r.randrange(200) for _ in range(20_000)])
+    to, packed = suffix_dedup._to_buckets(16, doc, o, np.full(len(doc), -1))
+    assert len(to) == 16 and sum(map(len, packed)) < 5 * len(doc)
+    back = np.concatenate([suffix_dedup._unpack(x) for x in packed], axis=1)
+    assert sorted(zip(*back.tolist(), strict=True)) == sorted(zip(doc.tolist(), o.tolist(), [-1] * len(doc), strict=True))
+    assert suffix_dedup._to_buckets(16, doc[:0], o[:0], o[:0]) == ([], []) and suffix_dedup._unpack(suffix_dedup._pack(doc[:1], o[:1], o[:1])).tolist() == [[doc[0]], [o[0]], [o[0]]]
+
+
+def test_shards_get_few_bytes_of_ids_in_no_order():
+    texts = [prose(700 + k, 60) for k in range(200)]
+    sizes = []
+    for ids in (range(200), [random.Random(k).randrange(1 << 40) for k in range(200)]):
+        rows = [x for b in suffix_dedup._anchors(500)(iter([pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts)], ["id", "t"])])) for x in b.to_pylist()]
+        judged = Counter()
+        for x in rows:
+            known = np.cumsum(np.frombuffer(zlib.decompress(x["ids"]), np.int64))
+            judged.update(known[np.frombuffer(x["d"], np.uint16)].tolist())
+        assert judged == Counter({i: len(suffix_dedup.segments(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0]) for i, t in zip(ids, texts, strict=True)})
+        sizes.append(sum(len(x["ids"]) for x in rows))
+    assert sizes[1] < 12 * sum(judged.values())
+
+
 def test_segments_of_many_documents_are_found_together(monkeypatch):
     texts = [prose(400 + k, k % 7 * 9).encode() for k in range(300)]
     each = [suffix_dedup.segments(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts]
