@@ -120,11 +120,20 @@ def cover_pairs(nodes: DataFrame, threshold: int = 2, within: int = 12) -> DataF
     homes = some.select("fp", "node", "size").mapInArrow(spread(0), "anchor long, fp long, node long, size int")
     homes = homes.groupBy("anchor").agg(F.min(F.struct("node", "size", "fp")).alias("hub"))
     copies = some.select(F.col("fp").alias("other")).distinct().mapInArrow(spread(threshold), "anchor long, other long")
-    met = copies.join(homes, "anchor").where(F.bit_count(F.col("hub.fp").bitwiseXOR(F.col("other"))) <= within).select("hub", "other").distinct()
+    # Spark sizes the replicas, some 61 a fingerprint, as one a fingerprint, and would send them to the driver.
+    met = copies.hint("merge").join(homes, "anchor").where(F.bit_count(F.col("hub.fp").bitwiseXOR(F.col("other"))) <= within).select("hub", "other").distinct()
     met = met.join(some.select("fp", "node", "size"), F.col("fp") == F.col("other")).where(F.col("node") != F.col("hub.node"))
     return met.select(F.col("hub.node").alias("a"), F.col("hub.size").alias("m"), F.col("node").alias("b"), F.col("size").alias("n"))
 
 
+def _shared(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, size, hub): the members of buckets of several nodes, and the least of them."""
+    members = nodes.select("node", "size", F.explode(F.array_distinct("buckets")).alias("bucket"))
+    hubs = members.groupBy(F.col("bucket").alias("hb")).agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    # Both sides grow with the corpus, and Spark sizes what is exploded as if each node were in one bucket.
+    return members.hint("merge").join(hubs, F.col("bucket") == F.col("hb")).select("bucket", "node", "size", "hub")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, bands: int = 28, rows: int = 5, threshold: int = 2) -> DataFrame:
     """(id, component_id): component_id is the least id reachable over links at a similarity of ``least``.
 
@@ -132,9 +141,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     prints = checkpointed(_prints(docs, id_col, text_col, shingle, bands, rows))
     nodes = checkpointed(prints.groupBy("node").agg(F.min("id").alias("least_id"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("buckets").alias("buckets")))
-    members = nodes.select("node", "size", F.explode(F.array_distinct("buckets")).alias("bucket"))
-    hubs = members.groupBy(F.col("bucket").alias("hb")).agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    shared = checkpointed(members.join(hubs, F.col("bucket") == F.col("hb")).select("bucket", "node", "size", "hub"))
+    shared = checkpointed(_shared(nodes))
     # Sets of such different sizes can't be similar enough.
     alike = lambda m, n: F.least(m, n) >= F.lit(least) * F.greatest(m, n) - 1e-9
     covered = cover_pairs(nodes, threshold).where(alike("m", "n")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -344,6 +344,16 @@ def test_near_copies_meet_at_covers(spark, monkeypatch):
     assert 20 <= sum(r.id % 2 == 1 and r.component_id == r.id - 1 for r in alone) <= 30
 
 
+def test_replicas_and_members_of_buckets_are_not_broadcast(spark):
+    nodes = spark.createDataFrame([(k, 9, k * 0x9E3779B97F4A7C15 % (1 << 62), [k // 2, 100 + k]) for k in range(60)], "node long, size int, fp long, buckets array<long>")
+    for out, key in ((near_copies.cover_pairs(nodes, within=64), "anchor"), (near_copies._shared(nodes), "bucket")):
+        ran = out._jdf.queryExecution()
+        ran.toRdd().count()
+        joins = re.findall(rf"(\w+Join) \[{key}#", ran.executedPlan().toString().split("== Initial Plan ==")[0])
+        assert joins == ["SortMergeJoin"]
+    assert Counter(near_copies._shared(nodes).select("bucket", "node", "hub.node").collect()) == Counter((k // 2, k, k // 2 * 2) for k in range(60))
+
+
 # 6
 def test_languages(docs, none, spark):
     de = lambda k: " ".join(random.Random(k).choice("der die und nicht über schön straße wäre haus gegen".split()) for _ in range(30))
